@@ -1,0 +1,51 @@
+"""Shared by the operators p1 to p10."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+ZERO_WIDTH = "\u180e\u200b-\u200f\u2060-\u2064\ufeff"
+BLANK = rf"(?U)^[\s{ZERO_WIDTH}]*$"
+TOKEN = r"(?U)(?:[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}])[\p{L}\p{M}\p{N}_])+|\S)"
+SLICE = 512
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def blank(c: Column) -> Column:
+    return c.isNull() | c.rlike(BLANK)
+
+
+def tokens(c: Column) -> Column:
+    """A token is a CJK character, a run of other letters, digits and underscores, or any other visible character."""
+    return F.regexp_count(c, F.lit(TOKEN)).cast("long")
+
+
+def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    kind = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = [out for row in batch.slice(at, SLICE).to_pylist() for out in fn(row)]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def fields(spark: SparkSession, d: str) -> DataFrame:
+    """messages.content and conversations.full_text as (field, conversation_id, sequence, text), without rows whose key is NULL."""
+    m = table(spark, d, "messages").where("conversation_id is not null and sequence is not null and content is not null")
+    c = table(spark, d, "conversations").where("conversation_id is not null and full_text is not null")
+    return m.select(F.lit("messages.content").alias("field"), "conversation_id", "sequence", F.col("content").alias("text")).unionAll(
+        c.select(F.lit("conversations.full_text"), "conversation_id", F.lit(-1), "full_text")
+    )

@@ -1,0 +1,64 @@
+"""Long texts as overlapping pieces."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import map_rows, table
+
+LIMIT, OVERLAP = 1500, 200
+#: From the strongest pause to the weakest.
+PAUSES = [re.compile(p) for p in (r"\n[ \t\r]*\n\s*", r"\n", r"[.!?…][\"')\]]*\s+|[。！？]", r"[,;:]\s+|[、，；：]", r"\s+")]
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").select(F.lit("messages.content").alias("field"), "conversation_id", F.col("sequence").alias("ply_start"), F.col("sequence").alias("ply_end"), F.col("content").alias("text"))
+    e = table(spark, d, "exchanges").select(F.lit("exchanges.exchange_text"), "conversation_id", "ply_start", "ply_end", "exchange_text")
+    return m.unionAll(e).where(f"conversation_id is not null and ply_start is not null and ply_end is not null and length(text) > {LIMIT}")
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("field", "conversation_id", "ply_start", "ply_end").distinct()
+
+
+def cut(text: str) -> list[tuple[int, int]]:
+    """The pieces as (start, end). A pause counts in the second half of a piece, white space anywhere past the overlap."""
+    out, start, n = [], 0, len(text)
+    while n - start > LIMIT:
+        most, end = start + LIMIT, 0
+        for k, pause in enumerate(PAUSES):
+            least = start + (LIMIT // 2 if k < len(PAUSES) - 1 else OVERLAP + 1)
+            end = max((e for m in pause.finditer(text, least, min(n, most + 1)) if (e := m.end()) <= most), default=0)
+            if end:
+                break
+        if not end:
+            end = most
+            while end > most - 20 and (unicodedata.combining(text[end]) or text[end] in "‍️" or text[end - 1] == "‍"):
+                end -= 1
+        out.append((start, end))
+        start = end - OVERLAP
+    return [*out, (start, n)]
+
+
+def _pieces(r: dict) -> list[dict]:
+    key = {k: r[k] for k in ("field", "conversation_id", "ply_start", "ply_end", "text_id")}
+    return [key | {"piece": i, "start": a, "text": r["text"][a:b]} for i, (a, b) in enumerate(cut(r["text"]))]
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """text_id tells the texts of one key apart; start is the offset in code points."""
+    df = _texts(spark, d).withColumn("text_id", F.sha2("text", 256)).dropDuplicates(["field", "conversation_id", "ply_start", "ply_end", "text_id"])
+    return map_rows(df, _pieces, "field string, conversation_id string, ply_start int, ply_end int, text_id string, piece int, start int, text string")
+
+
+FOUND_SQL = f"""
+SELECT 'messages.content' AS field, conversation_id, sequence AS ply_start, sequence AS ply_end FROM messages
+WHERE conversation_id IS NOT NULL AND sequence IS NOT NULL AND length(content) > {LIMIT}
+UNION
+SELECT 'exchanges.exchange_text', conversation_id, ply_start, ply_end FROM exchanges
+WHERE conversation_id IS NOT NULL AND ply_start IS NOT NULL AND ply_end IS NOT NULL AND length(exchange_text) > {LIMIT}
+"""

@@ -1,0 +1,115 @@
+"""Documents whose text ends before its content does."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import ZERO_WIDTH, blank, map_rows, table
+
+#: One line below this length is taken for a title.
+TITLE = 80
+_EDGE = re.compile(rf"[\s{ZERO_WIDTH}]+\Z")
+_MARK = re.compile(r"(?:�|[(\[]?\s?\+?\d+ (?:more )?(?:chars|characters|bytes|lines)\)?\]?|[(\[<{](?:[^()\[\]<>{}]{0,30}\b)?(?:truncated|cut(?: off)?|clipped|omitted|abridged|snip(?:ped)?|continued|cont\.)\b[^()\[\]<>{}]{0,30}[)\]>}])\Z", re.I)
+_CLOSED = re.compile(r"[.!?。！？][)\"'»”’`\]*_]*\Z")
+_WHOLE_LINE = re.compile(r"#{1,6} \S.*|--+ ?\S.*|(?:Total|Count|Changed file|File|Date|Status|Version): \S+|(?:See|More on|Link:?)?\s*https?://\S*[\w/]|(?-i:[-*] [a-z]+ (?:[a-z]+_\w+|[a-z]+[A-Z]\w*))|\|.*\|", re.I)
+_PATH = re.compile(r"(?:^|[\s`(])[\w.\-]+(?:/[\w\-]+)+[./]?\Z")
+_CUT_PATH = re.compile(r"(?:^|[\s`(])[\w.\-]+/[\w\-]+/[\w\-]+\.\Z")
+_URL = re.compile(r"https?://\S+\Z")
+_TAIL = re.compile(r"(\S+)\s+(\S+)\Z")
+_END = re.compile(r"(\S+)[ \t]+(\S+?)[.!?;,]*[.!?](?=\s|\Z)")
+_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+
+
+def _shape(a: str, b: str) -> str:
+    """The last two words, with numbers and code alike."""
+    words = []
+    for w in (a, b):
+        w = w.strip("`\"'()[],;:")
+        words.append("#" if re.fullmatch(r"\d+", w) else "@" if re.search(r"[/_]|[a-z][A-Z]", w) and (("/" not in w) or re.search(r"\.\w{1,5}\Z", w)) and not re.search(r"_\Z", w) else w.lower())
+    return " ".join(words)
+
+
+def endings(text: str) -> set[str]:
+    """What the sentences of a text end in: two words, or after ~ one; in Japanese and Chinese four characters."""
+    out = {_shape(m[1], m[2]) for m in _END.finditer(text)}
+    out |= {f"~{x.split(' ')[-1]}" for x in out}
+    return out | {text[m.start() - 4 : m.start()] for m in re.finditer(r"[。！？]", text) if m.start() >= 4}
+
+
+def _open(text: str) -> bool:
+    """An unclosed fence, bracket of a structure, inline code, entity or URL at the end."""
+    if len(re.findall(r"(?m)^\s*```", text)) % 2:
+        return True
+    last = text[text.rfind("\n") + 1 :]
+    prose = "```" not in last
+    if prose and last.count("`") % 2:
+        return True
+    if re.search(r"&(?:#x?[0-9a-f]{0,6}|[a-z]{1,6})?\Z", last, re.I) or re.search(r"https?://\S*[?&=%]\Z|https?:?/?/?\Z|%[0-9A-F]?\Z", last) and not re.search(r"\d%\Z", last):
+        return True
+    tail = re.sub(r"```.*?```", "", text, flags=re.S)
+    if re.search(r'["\d\]}]\s*[,:]\Z', tail):
+        return True
+    at = max(tail.rfind("\n\n"), 0)
+    part = re.sub(r'"(?:[^"\\\n]|\\.)*"', '""', tail[at:])
+    return bool(re.search(r"(?m)^\s*[{\[]|: ?[{\[]|=\s*[{\[(]", part)) and (part.count("{") > part.count("}") or part.count("[") > part.count("]"))
+
+
+def ending(text: str) -> tuple[bool | None, str | None]:
+    """Whether the text is cut off, or None and its ending if that depends on whether sentences end so."""
+    text = _EDGE.sub("", text)
+    if _MARK.search(text) or _open(text):
+        return True, None
+    last = text[text.rfind("\n") + 1 :].strip()
+    if m := re.search(r"\s?(?:…|\.\.\.)\Z", text):  # complete only after words that close a sentence
+        return (None, _shape(e[1], e[2])) if (e := _TAIL.search(text[: m.start()])) else (True, None)
+    if _CUT_PATH.search(text):
+        return True, None
+    if _CLOSED.search(text) or last.startswith("```") or last.endswith((";", "}", "]", "|")) or _WHOLE_LINE.fullmatch(last):
+        return False, None
+    if _URL.search(text):
+        return False, None
+    if "\n" not in text and len(text.split()) <= 4 and not _CJK.search(text):
+        return False, None
+    if re.search(r"Changed file: \S+\.\w{1,5}\Z", text) or re.search(r"(?:See|More on) https?://\S+\Z", text):
+        return False, None
+    if re.search(r"[,:(\-–—/\\=<&]\Z", text):
+        return True, None
+    if _CJK.search(text[-2:]):
+        return None, text[-4:]
+    if _PATH.search(last) and not re.search(r"\.\w{1,5}\Z", last):
+        return True, None
+    if not (m := _TAIL.search(text)):
+        return False, None
+    end = _shape(m[1], m[2])
+    return None, f"~{end.split(' ')[-1]}" if "\n" not in text and len(text) < TITLE else end
+
+
+def _ends(r: dict) -> list[dict]:
+    cut, end = ending(r["text"])
+    return [{"doc_id": r["doc_id"], "source": r["source"], "cut": cut, "ending": end}]
+
+
+def _known(r: dict) -> list[dict]:
+    return [{"ending": e} for e in endings(r["text"])]
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    """truncated is TRUE where the text was cut off; an ending with which no other sentence of the corpus closes counts as cut."""
+    docs = table(spark, d, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text")
+    ends = map_rows(docs.where(~blank(F.col("text"))), _ends, "doc_id bigint, source string, cut boolean, ending string")
+    known = map_rows(docs.where("text is not null").select("text"), _known, "ending string").groupBy("ending").agg(F.count("*").alias("n"))
+    asked = ends.where("ending is not null").select("ending").distinct()
+    known = known.join(asked, "ending", "left_semi").where("n >= 2")
+    judged = ends.join(known, "ending", "left").select("doc_id", F.coalesce("cut", F.col("n").isNull()).alias("truncated"))
+    return docs.select("doc_id", "source").join(judged, "doc_id", "left").select("doc_id", "source", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return flagged(spark, d).where("truncated").select("doc_id").distinct()
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    return flagged(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("truncated").cast("int")).alias("truncated"), F.avg(F.col("truncated").cast("double")).alias("truncated_share"))

@@ -1,0 +1,159 @@
+"""Personal data in free text, found and replaced."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+
+from llm.common import fields, map_rows, table
+
+_AT = r"(?:@|＠|%40|&#64;|&commat;|\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?)"
+_DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s)"
+_LOCAL = r"[^\W_](?:[\w.+'\-]*[\w])?"
+_EMAIL = re.compile(rf"(?<![\w.+*@/\-]){_LOCAL}(?:{_AT}(?:[^\W_](?:[\w\-]*[^\W_])?{_DOT})+[A-Za-z]{{2,24}}|\sat\s(?:[^\W_](?:[\w\-]*[^\W_])?\sdot\s)+[A-Za-z]{{2,24}})(?![\w@])", re.I)
+_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,30}://[^\s\"'`<>)\]]*")
+_G = r"[\s .\-/–]?"
+_PHONE = re.compile(
+    r"(?<![\w.#+\-/])(?:"
+    r"(?:\+|00)[1-9]\d{0,2}[\s .\-]?(?:\(0\)[\s ]?)?(?:\(?\d{1,5}\)?[\s .\-/–]?){1,5}\d{2,}"
+    r"|\(\d{3}\)[\s ]?\d{3}[\s .\-]\d{4}|\(0\d{2,4}\)[\s ]?\d{3,8}(?:[\s \-]\d{1,6})*|\d{3}([\-.\s ])\d{3}\1\d{4}|1[\-.]\d{3}[\-.]\d{3}[\-.]\d{4}"
+    r"|0\d{2,4}[/\s \-]\d{3,5}(?:[\s \-]\d{2,5})+|0\d(?:[\s .\-]\d{2}){4}|0\d{1,4}/\d{4,9}(?:-\d{1,5})?)"
+    r"(?:,?\s?(?:ext\.?|x|extension|Durchwahl|poste)\s?\d{1,5})?(?![\w\-]|\.\d|:\d)"
+)
+_CALL = re.compile(r"(?i)(?:\btel\b\.?:?|\bphone\b\W{1,4}|\bmobile\b:?|my number is|on-call today:|\bcall(?: me at)?)\s*(?P<v>\+?\(?\d[\d\s ().\-/–]{6,18}\d)(?!\w)")
+_LABEL = r"(?:SSN|social[\s\-]security(?:[\s\-](?:number|no\.?))?|tax[\s\-]?(?:ID|id|number|no\.?|payer\s?id)|TIN|Steuer-?(?:ID|nummer)|passport(?:\s?(?:no\.?|number|nr\.?|#))?|Reisepass(?:nummer)?|pasaporte|passeport|(?:NI|national[\s\-]insurance|national(?:\s?id)?(?:entity)?|identity)(?:[\s\-]?(?:number|no\.?|card|id))*|NINO|id[\s\-]card(?:\s?(?:no\.?|number))?|(?:driver'?s?|driving)[\s\-]?licen[cs]e(?:\s?(?:no\.?|number|nr\.?))?|licen[cs]e\s?(?:no\.?|number|nr\.?)|Personalausweis(?:nummer)?|F[üu]hrerschein(?:nummer)?|DNI|NIE|NIF|identity[\s\-]card)"
+_ID = re.compile(rf"(?i)(?<![\w])['\"]?{_LABEL}['\"]?\s*(?:[:=#]|is|no\.?|number)?\s*['\"]?(?P<v>(?=[A-Z0-9.\-/ ]*\d[A-Z0-9.\-/ ]*\d[A-Z0-9.\-/ ]*\d[A-Z0-9.\-/ ]*\d)(?:[A-Z]{{1,3}}(?=[\d \-]))?[\s\-]?[A-Z]{{0,6}}\d[A-Z0-9]*(?:[ .\-/]\d[A-Z0-9]*)*(?:\s?[A-D](?![A-Za-z]))?)")
+_BARE_ID = re.compile(r"(?<![\w.\-/])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PQR-TW-Z]{2} ?\d{2} \d{2} \d{2} ?[A-D])(?![\w\-])")
+_TYPE = r"(?:St\.?|Street|Ave(?:nue)?\.?|Road|Rd\.?|Lane|Ln\.?|Close|Court|Ct\.|Drive|Dr\.|Way|Square|Sq\.|Place|Pl\.|Terrace|Crescent|Row|Boulevard|Blvd\.?|Hill|Gardens|Mews|Quay|Walk)"
+_CAP = r"[A-ZÀ-ÞŁ][\w'’\-]*"
+_ADDRESS = re.compile(
+    rf"(?<![\w.:/#\-])(?:(?:(?:Flat|Apt\.?|Unit|Suite)\s\d+[A-Za-z]?,?\s+)?\d{{1,5}}[A-Za-z]?,?\s(?:[NSEW]\.?\s)?(?:{_CAP}\s){{1,3}}{_TYPE}(?![\w])"
+    rf"|\d{{1,5}}[a-z]?\s[a-z][a-z'’\-]+(?:\s[a-z'’\-]+)?\s(?:street|road|lane|close|ave(?:nue)?|st\.?|way|drive),\s[a-z]+"
+    rf"|(?:\d{{1,5}}(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|impasse|chemin|quai|allée)\s(?:de\s|du\s|des\s|la\s|le\s|l'|d')*{_CAP}(?:\s{_CAP})*)"
+    rf"|(?:Calle|Avenida|Avda\.|Plaza|Paseo|C/)\s(?:de\s|la\s|del\s|los\s)*{_CAP}(?:\s{_CAP})*,?\s(?:n\.?º\s)?\d{{1,4}}"
+    rf"|[A-ZÄÖÜ][\w'’\-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|[\s\-](?:Straße|Str\.|Weg|Platz|Allee|Gasse))\s\d{{1,4}}[a-z]?(?!\w)"
+    r"|P\.?\s?O\.?\s?Box\s\d+|(?i:post\s?office\sbox)\s\d+|Postfach\s\d[\d ]*\d|Apartado(?:\sde\sCorreos)?\s\d+|B\.?P\.?\s\d{2,5}(?=,?\s\d{5})|Boîte\spostale\s\d+)"
+    rf"(?:,?\s+(?:Apt\.?|Flat|Unit|Suite)\s\d+[A-Za-z]?)?(?:,\s\d\.?º\s\w+\.)?(?:,?\s(?:\d{{5}}\s)?{_CAP}(?:[ \-](?![A-Z]{{2}}){_CAP})?)?(?:,?\s[A-Z]{{2}}\d{{0,2}}\s\d[A-Z0-9]{{2,4}})?",
+)
+_ADDRESS_I = re.compile(r"(?i)(?<![\w.])p\.?\s?o\.?\s?box\s\d+(?!\w)")
+#: Words that are no part of a name though they are capitalised and stand beside one.
+_WORDS = set("a an and are as at after both but by call can cc change date done each exchange for from how i if in is it its let looping merci my next no not nothing on or our owner please prof dr mr mrs ms reviewed ship so sorry thanks that the then there these they this to today we what when where who why will with you your signed assigned according hello hi dear hey ask path room vector index queue title ticket checksum page section chapter table figure step version monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december street road lane close avenue todo fixme error warn info debug trace user assistant el la le les der die das und y et a".split())
+_SLOTS = re.compile(
+    r"(?im)(?:looping in |reviewed by |can you ask |(?<![^\s\"#*-])(?-i:As) |merci à |\bowner: ?|author = [\"']|@todo\(|assigned to |the notes of |display == [\"']|signed-off-by: |co-authored-by: |applicant;|\"name\": ?\"|thanks,\r?\n|regards,\r?\n|^-- ?\r?\n|cheers,\r?\n|gruß,?\r?\n|full_name\W{1,5}|customer\W{1,4}|contact: )"
+    r"(?P<v>[^\W\d_](?:[^\n\r\"'<>()\[\]{}:=]|(?<=\w)'(?=\w)){2,48})"
+)
+_REPORTED = re.compile(r"(?m)(?:^|[.!?。] |[#*\-] |\"\s)(?P<v>[^\n.!?。\"]{3,6}?[^\n!?。\"]{0,40}?) (?:reported this after|said, we)")
+_STOP = re.compile(r"(?i)\s(?:from the|whether|said|pour|on (?:mon|tues|wednes|thurs|fri|satur|sun)day|reported|that|is|was|for|clean)\b|[;]\s*\+|, (?:it|we|please|thanks|and)\b|\s#|;(?=\S*@)")
+_NAME = r"(?:(?:d'|O'|Mc|Mac-|von |van |de )?[A-ZÀ-ÞŁŚŻ][^\W\d_]+(?:['’\-][A-ZÀ-ÞŁ]?[^\W\d_]+)*)"
+_UPPER = r"[A-ZÀ-ÞŁ][A-ZÀ-ÞŁ'’\-]{2,}"
+_SHAPE = re.compile(rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Frau|Herr|Mme|M|Sra?)\.?\s+{_NAME}|{_NAME}-san|(?:{_NAME}|[A-ZÀ-ÞŁ]\.)(?:\s[A-ZÀ-ÞŁ]\.)?\s{_NAME}|{_UPPER},\s{_NAME}|{_NAME},\s{_NAME}|{_NAME};{_NAME}|{_NAME}\s{_UPPER}|{_NAME}\s[A-ZÀ-ÞŁ]\.)")
+_LOWER = re.compile(r"([^\W\d_]+) (?:[^\W\d_]\. )?([^\W\d_]+(?:['’\-][^\W\d_]+)*)")
+
+
+#: A regex runs only on texts that hold one of its words.
+_ID_WORDS = ("ssn", "social", "tax", "tin ", "steuer", "passport", "reisepass", "pasaporte", "passeport", "ni ", "ni-", "national", "nino", "card", "licen", "ausweis", "schein", "dni", "nie", "nif", "identity")
+_CALL_WORDS = ("tel", "phone", "mobile", "my number is", "on-call", "call ")
+_SLOT_WORDS = ("looping in ", "reviewed by ", "can you ask ", " said", "merci", "owner:", "author =", "@todo(", "assigned to ", "the notes of ", "display ==", "-by:", "applicant;", '"name"', "thanks,", "regards,", "--", "cheers,", "gruß", "full_name", "customer", "contact:")
+_DIGITS = re.compile(r"\d[\d\s\u00a0().\-/–]{5,}\d")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(8)
+def _parts(names: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(w for n in names for w in _WORD.findall(n.lower()) if len(w) > 1)
+
+
+@lru_cache(8)
+def _lexicon(given: tuple[str, ...], family: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    g, f = ("|".join(re.escape(x) for x in sorted(p, key=len, reverse=True)) for p in (given, family))
+    # any case: given and family name both listed; otherwise written as names are
+    both = re.compile(rf"(?i)(?<![\w.@/`'\-])(?:(?:{g})(?:\s[^\W\d_]\.)?[\s ]+(?:{f})|(?:{f}),\s?(?:{g}))(?![\w@/]|-(?!san))")
+    one = re.compile(
+        rf"(?<![\w.@/`'\-])(?:(?:(?P<first>{_NAME})\s)(?:[A-ZÀ-ÞŁ]\.\s)?(?:{f}|{f.upper()})|[A-ZÀ-ÞŁ]\.\s?(?:[A-ZÀ-ÞŁ]\.\s?)?(?:{f})|(?:{f}|{f.upper()}),\s(?:{_NAME})(?=\s|$)|(?:Mr|Mrs|Ms|Dr|Prof|Frau|Herr|Mme)\.?\s(?:{f})|(?:{f})-san"
+        rf"|(?:{g})(?:\s[A-ZÀ-ÞŁ]\.)(?:\s(?P<last>{_NAME}))?)(?![\w@/`]|-(?!san))"
+    )
+    return both, one
+
+
+def entities(text: str, given: tuple[str, ...], family: tuple[str, ...]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of each, apart and in order."""
+    out: list[tuple[int, int, str]] = []
+    low = text.lower()
+
+    def add(a: int, b: int, kind: str) -> None:
+        if a < b and not any(x < b and a < y for x, y, _ in out):
+            out.append((a, b, kind))
+
+    urls = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+    if "@" in text or "＠" in text or "%40" in text or "#64" in text or "at]" in low or "at)" in low or " dot " in low or "at}" in low:
+        for m in _EMAIL.finditer(text):
+            if not (m[0].lower().startswith(("git@", "hg@")) or text[m.end() : m.end() + 1] == ":" and re.match(r":[\w/~]", text[m.end() :]) or any(a <= m.start() < b for a, b in urls) and not text[: m.start()].endswith("mailto:")):
+                add(*m.span(), "email")
+    digits = _DIGITS.search(text)
+    for m in _BARE_ID.finditer(text):
+        add(*m.span(), "id_number")
+    for m in _ID.finditer(text) if any(w in low for w in _ID_WORDS) else ():
+        add(*m.span("v"), "id_number")
+    for m in _PHONE.finditer(text) if digits else ():
+        if not any(a <= m.start() < b for a, b in urls) and 7 <= len(re.sub(r"\D", "", re.sub(r"(?i)\s?(?:ext|x).*", "", m[0]))) <= 16:
+            add(*m.span(), "phone")
+    for m in _CALL.finditer(text) if digits and any(w in low for w in _CALL_WORDS) else ():
+        add(*m.span("v"), "phone")
+    for m in _ADDRESS.finditer(text):
+        add(*m.span(), "street_address")
+    for m in _ADDRESS_I.finditer(text):
+        add(*m.span(), "street_address")
+    both, one = _lexicon(given, family)
+    known = {x.lower() for x in (*given, *family)}
+    for m in _SLOTS.finditer(text) if any(w in low for w in _SLOT_WORDS) else ():
+        v = _STOP.split(m["v"], maxsplit=1)[0].rstrip(" ,.;*")
+        if (x := _SHAPE.match(v)) and not _WORDS & {w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b", "", x[0])) if len(w) > 1}:
+            add(m.start("v"), m.start("v") + x.end(), "person_name")
+        elif (x := _LOWER.fullmatch(v)) and {x[1].lower(), x[2].lower()} & known and not _WORDS & {x[1].lower(), x[2].lower()}:
+            add(m.start("v"), m.start("v") + x.end(), "person_name")
+    for m in _REPORTED.finditer(text) if "reported this after" in text or " said, we" in text else ():
+        if x := _SHAPE.fullmatch(m["v"]):
+            add(*m.span("v"), "person_name")
+    words = set(_WORD.findall(low))
+    if words & (_parts(family) | _parts(given)):
+        for m in both.finditer(text):
+            add(*m.span(), "person_name")
+        for m in one.finditer(text):
+            a = m.start()
+            if m["first"] and m["first"].lower() in _WORDS:
+                continue
+            if m["last"] and m["last"].lower() in _WORDS:
+                continue
+            add(a, m.end(), "person_name")
+    return sorted(out)
+
+
+def mask(text: str, given: tuple[str, ...], family: tuple[str, ...]) -> str:
+    at, out = 0, []
+    for a, b, kind in entities(text, given, family):
+        out += [text[at:a], f"[{kind.upper()}]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _names(spark: SparkSession, d: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    rows = table(spark, d, "name_lexicon").where("name_part is not null").collect()
+    return tuple(tuple(sorted({r["name_part"] for r in rows if r["part_kind"] == k})) for k in ("given", "family"))
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    given, family = _names(spark, d)
+
+    def rows(r: dict) -> list[dict]:
+        key = {k: r[k] for k in ("field", "conversation_id", "sequence")}
+        return [key | {"entity_type": k} for k in {k for _, _, k in entities(r["text"], given, family)}]
+
+    return map_rows(fields(spark, d), rows, "field string, conversation_id string, sequence int, entity_type string").distinct()
+
+
+def masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, with each e-mail address, phone number, identity number, street address and person replaced."""
+    given, family = _names(spark, d)
+    return map_rows(fields(spark, d), lambda r: [r | {"text": mask(r["text"], given, family)}], "field string, conversation_id string, sequence int, text string")

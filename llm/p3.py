@@ -1,0 +1,51 @@
+"""Messages as one ordered list of (role, content) per conversation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import blank, table
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each (conversation_id, sequence); mixed where it has two roles or contents. Unknown roles are NULL."""
+    m = table(spark, d, "messages").where("conversation_id is not null and sequence is not null")
+    a = table(spark, d, "role_aliases").select(F.lower(F.trim("alias")).alias("alias"), F.col("role").alias("known")).distinct()
+    m = m.withColumn("alias", F.lower(F.regexp_replace("role", r"(?U)^\s+|\s+$", ""))).join(F.broadcast(a), "alias", "left")
+    m = m.withColumn("hash", F.coalesce(F.sha2("content", 256), F.lit(""))).withColumn("as", F.coalesce("known", F.concat(F.lit("?"), F.coalesce("alias", F.lit("")))))
+    return m.groupBy("conversation_id", "sequence").agg(
+        ((F.min("hash") != F.max("hash")) | (F.min("as") != F.max("as"))).alias("mixed"),
+        F.max(F.col("known").isNull()).alias("unknown"),
+        F.max("known").alias("role"),
+        F.max("content").alias("content"),
+    )
+
+
+def _judged(m: DataFrame) -> DataFrame:
+    full = ~blank(F.col("content"))
+    last = F.max(F.when(full & F.col("role").isin("user", "assistant"), F.struct("sequence", "role")))
+    return m.groupBy("conversation_id").agg(
+        (
+            F.max("mixed")
+            | (F.min("sequence") != 0)
+            | (F.max("sequence") != F.count("*") - 1)
+            | F.max("unknown")
+            | ~F.max(F.coalesce(full & (F.col("role") == "user"), F.lit(False)))
+            | F.coalesce(last["role"] != "assistant", F.lit(True))
+        ).alias("dropped")
+    )
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    judged = _judged(_messages(spark, d))
+    c = table(spark, d, "conversations").where("conversation_id is not null").select("conversation_id", F.lit(None).cast("boolean").alias("dropped"))
+    every = judged.unionAll(c).groupBy("conversation_id").agg(F.coalesce(F.max("dropped"), F.lit(True)).alias("dropped"))
+    return every.where("dropped").select("conversation_id")
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d)
+    kept = _judged(m).where("not dropped").select("conversation_id")
+    turns = m.join(kept, "conversation_id").groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("sequence", "role", "content"))).alias("turns"))
+    return turns.select("conversation_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))

@@ -1,0 +1,158 @@
+"""Transcript lines and csv dumps, loaded into typed fields or as a parse issue."""
+
+from __future__ import annotations
+
+import json
+import re
+from datetime import datetime, timedelta, timezone
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import blank, map_rows, table
+
+HEADER = "file_path,conversation_id,status,file_size,mtime_ns,error_message,updated_at".split(",")
+TYPES = {"user", "assistant", "file-history-snapshot", "session_meta", "response_item"}
+STATUS = {"indexed", "invalid", "pending", "skipped"}
+_ISO = re.compile(r"(\d{4})-?(\d\d)-?(\d\d)T(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?(Z|[+-]\d\d(?::?\d\d)?)", re.ASCII)
+_CSV = re.compile(r'"((?:[^"]|"")*)"(?=,|$)|([^",]*)(?=,|$)')
+SCHEMA = (
+    "file_path string, line_number int, issue string, type string, timestamp timestamp, role string, content string, content_json string, uuid string, parent_uuid string, session_id string, cwd string, payload_json string, "
+    "record string, source_path string, conversation_id string, status string, file_size decimal(38,0), mtime_ns decimal(38,0), error_message string, updated_at timestamp"
+)
+
+
+def iso(s: object) -> datetime | None:
+    if not isinstance(s, str) or not (m := _ISO.fullmatch(s)):
+        return None
+    y, mo, d, h, mi, se = (int(x or 0) for x in m.groups()[:6])
+    z = m[8].replace(":", "")
+    off = timedelta(0) if z == "Z" else timedelta(hours=int(z[1:3]), minutes=int(z[3:] or 0)) * (1 if z[0] == "+" else -1)
+    try:
+        if z != "Z" and (int(z[1:3]) > 23 or int(z[3:] or 0) > 59):
+            return None
+        return datetime(y, mo, d, h, mi, se, int(((m[7] or "") + "000000")[:6]), timezone.utc) - off
+    except (ValueError, OverflowError):
+        return None
+
+
+def _constant(s: str) -> None:
+    raise ValueError(f"{s} is not JSON")
+
+
+def _whole(s: str) -> int | Decimal:
+    return int(s) if len(s) < 4000 else Decimal(s)
+
+
+def _objects(x: object) -> bool:
+    return isinstance(x, list) and all(isinstance(o, dict) for o in x)
+
+
+def _text(content: object) -> str | None:
+    return content if isinstance(content, str) else "\n\n".join(o["text"] for o in content if isinstance(o.get("text"), str)) if isinstance(content, list) else None
+
+
+def _string(x: object) -> str | None:
+    return x if isinstance(x, str) else None
+
+
+def load_json(line: str) -> dict:
+    """The typed fields; ValueError with the reason if the line cannot be loaded."""
+    try:
+        o = json.loads(line, strict=False, parse_constant=_constant, parse_int=_whole)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    if not isinstance(o, dict):
+        raise ValueError("not a JSON object")
+    kind = o.get("type")
+    if not isinstance(kind, str) or kind not in TYPES:
+        raise ValueError("type is missing or unknown")
+    out = {"type": kind, "record": line}
+    if "timestamp" in o:
+        if not (t := iso(o["timestamp"])):
+            raise ValueError("timestamp is not an ISO 8601 date-time with zone on a real date")
+        out["timestamp"] = t
+    body = None
+    if kind in ("user", "assistant"):
+        if not isinstance(body := o.get("message"), dict):
+            raise ValueError("message is not an object")
+        if body.get("role") != kind:
+            raise ValueError("message.role is not type")
+        if not isinstance(body.get("content"), str) and not _objects(body.get("content")):
+            raise ValueError("message.content is neither a string nor an array of objects")
+    elif kind == "response_item":
+        if not isinstance(body := o.get("payload"), dict):
+            raise ValueError("payload is not an object")
+        if body.get("role") not in ("user", "assistant"):
+            raise ValueError("payload.role is neither user nor assistant")
+        if not _objects(body.get("content")):
+            raise ValueError("payload.content is not an array of objects")
+    if body:
+        out |= {"role": body["role"], "content": _text(body["content"]), "content_json": json.dumps(body["content"], default=str)}
+    if "payload" in o:
+        out["payload_json"] = json.dumps(o["payload"], default=str)
+    return out | {k: _string(o.get(n)) for k, n in (("uuid", "uuid"), ("parent_uuid", "parentUuid"), ("session_id", "sessionId"), ("cwd", "cwd"))}
+
+
+def split_csv(line: str) -> list[str]:
+    out, at = [], 0
+    while True:
+        if not (m := _CSV.match(line, at)):
+            raise ValueError(f"quotes are wrong at character {at}")
+        out.append(m[2] if m[1] is None else m[1].replace('""', '"'))
+        if m.end() == len(line):
+            return out
+        at = m.end() + 1
+
+
+def load_csv(line: str) -> dict:
+    f = split_csv(re.sub(r"\r?\n?\Z", "", line))
+    if len(f) != len(HEADER):
+        raise ValueError(f"{len(f)} fields, not {len(HEADER)}")
+    if not f[0] or not f[1]:
+        raise ValueError("file_path or conversation_id is empty")
+    if f[2] not in STATUS:
+        raise ValueError("status is unknown")
+    for k in (3, 4):
+        if not re.fullmatch(r"[0-9]*", f[k]):
+            raise ValueError(f"{HEADER[k]} is not digits")
+    if not (t := iso(f[6])):
+        raise ValueError("updated_at is not an ISO 8601 date-time with zone on a real date")
+    size, mtime = (Decimal(x) if x else None for x in f[3:5])
+    return {"source_path": f[0], "conversation_id": f[1], "status": f[2], "file_size": size, "mtime_ns": mtime, "error_message": f[5] or None, "updated_at": t}
+
+
+def is_header(r: dict) -> bool:
+    if r["line_number"] != 1 or not r["file_path"].endswith(".csv"):
+        return False
+    try:
+        return split_csv(r["line"].strip("\ufeff\r\n")) == HEADER
+    except ValueError:
+        return False
+
+
+def _load(r: dict) -> list[dict]:
+    if is_header(r):
+        return []
+    key = {"file_path": r["file_path"], "line_number": r["line_number"]}
+    try:
+        if r["file_path"].endswith(".csv"):
+            return [key | load_csv(r["line"])]
+        return [key | load_json(r["line"])]
+    except ValueError as e:
+        return [key | {"issue": str(e)}]
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "raw_lines").where("file_path is not null and line_number is not null").where(~blank(F.col("line")))
+    return map_rows(lines.select("file_path", "line_number", "line").distinct(), _load, SCHEMA)
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d).where("issue is not null").select("file_path", "line_number").distinct()
+
+
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """issue is NULL where the line was loaded; record has the whole JSON line."""
+    return _loaded(spark, d)

@@ -1,0 +1,75 @@
+"""The five most similar facets of each facet, by exact cosine similarity."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from llm.common import table
+
+DIM, K, NEAR = 64, 5, 0.9
+#: Facets in a block, the most that a task holds of either side; rows multiplied at a time; neighbours taken on from single precision.
+BLOCK, STEP, SPARE = 12_000, 256, 16
+_OUT = pa.schema([("facet_id", pa.string()), ("neighbour_id", pa.string()), ("similarity", pa.float64())])
+
+
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    df = table(spark, d, "hierarchical_facets").where(F.col("facet_id").isNotNull() & (F.size(e) == DIM)).where(~bad & F.exists(e, lambda x: x != 0))
+    return df.groupBy("facet_id").agg(F.max_by("embedding", F.struct("last_seen", "embedding")).alias("embedding"), F.max_by("facet_text", F.struct("last_seen", "facet_text")).alias("facet_text"))
+
+
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    x = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, DIM)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return np.array(t["facet_id"].to_pylist(), dtype=object), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not left.num_rows or not right.num_rows:
+        return _OUT.empty_table()
+    (a, x), (b, y) = _matrix(left), _matrix(right)
+    order = np.argsort(b)
+    b, y = b[order], y[order]
+    fine, ids, near, sims = y.astype(np.float32).T.copy(), [], [], []
+    take = min(len(b), SPARE)
+    for at in range(0, len(a), STEP):
+        own = x[at : at + STEP]
+        rough = own.astype(np.float32) @ fine
+        top = np.sort(np.argpartition(rough, len(b) - take, axis=1)[:, len(b) - take :], axis=1)
+        exact = np.round(np.einsum("ij,ikj->ik", own, y[top]), 9)
+        exact[b[top] == a[at : at + STEP, None]] = -2
+        rank = np.argsort(-exact, axis=1, kind="stable")[:, :K]
+        top, exact = np.take_along_axis(top, rank, 1), np.take_along_axis(exact, rank, 1)
+        ok = exact > -2
+        ids.append(np.repeat(a[at : at + STEP], ok.sum(axis=1)))
+        near.append(b[top[ok]])
+        sims.append(exact[ok])
+    return pa.table([pa.array(np.concatenate(ids), pa.string()), pa.array(np.concatenate(near), pa.string()), pa.array(np.concatenate(sims))], schema=_OUT)
+
+
+def _neighbours(facets: DataFrame, n: int) -> DataFrame:
+    """Every facet is compared with every other; equal similarities (to nine places) go by facet_id."""
+    blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("facet_id"), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    f = facets.select("facet_id", "embedding", block.alias("own"))
+    left, right = f.select("facet_id", "embedding", F.col("own").alias("i"), each.alias("j")), f.select("facet_id", "embedding", each.alias("i"), F.col("own").alias("j"))
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best, "facet_id string, neighbour_id string, similarity double")
+    w = Window.partitionBy("facet_id").orderBy(F.desc("similarity"), "neighbour_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(f"rank <= {K}")
+
+
+def top5(spark: SparkSession, d: str) -> DataFrame:
+    facets = _usable(spark, d)
+    texts = facets.select(F.col("facet_id").alias("neighbour_id"), F.col("facet_text").alias("neighbour_text"))
+    return _neighbours(facets, facets.select("facet_id").count()).join(texts, "neighbour_id").select("facet_id", "rank", "neighbour_id", "neighbour_text", "similarity")
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    facets = _usable(spark, d)
+    near = _neighbours(facets, facets.select("facet_id").count()).where(f"similarity >= {NEAR}")
+    return near.select(F.least("facet_id", "neighbour_id").alias("facet_id_a"), F.greatest("facet_id", "neighbour_id").alias("facet_id_b")).distinct()

@@ -1,0 +1,97 @@
+"""Literal credentials, found and replaced."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import fields, map_rows
+
+#: Texts without any of these cannot hold a case.
+HINT = r"(?i)pass|pwd|pw\b|passwor|secret|token|key|credential|bearer|authorization|identified by|://[^/\s]*:[^/\s]*@|PRIVATE KEY|zk_live_|nbp_[0-9a-f]{12}|qtx-|VLT[A-Z0-9]{12}|eyJ[A-Za-z0-9]{8}|\s-u\s|kennwort|contrase|mot de passe|svc:"
+_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----(?:BEGIN|END)).)*)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
+_PW = r"(?:pass(?:word|wd|phrase|code|wort)?|pwd|(?<![a-z])pw|kennwort|contraseña|mot de passe)"
+_KEY = r"(?:(?:(?:api|access|secret|service|signing|webhook|auth|client|private|encryption|licen[cs]e|svc|session|hmac|account|deploy|master|shared)[\s_.\-]?|(?<![a-z]))key|token|secret)"
+_SEP = r"""["'`]?\]?\s*(?:=>|:=|==?(?!=)|:(?!//)|,(?=\s*["'`]))\s*\(?\s*(?:r|b|f|u)?"""
+_QUOTED = r"""(?P<q>\"""|["'`])(?P<v>(?:(?!(?P=q))[^\n]){1,4096})(?P=q)?"""
+_BARE = r"""(?P<b>[^\s"'`,;)\]}<>]{4,})"""
+_FORMS = [
+    ("password", re.compile(rf"(?i){_PW}{_SEP}(?:{_QUOTED}|{_BARE})")),
+    ("password", re.compile(rf"(?i)--?{_PW}[\s=]+(?:{_QUOTED}|{_BARE})")),
+    ("password", re.compile(rf"(?i)\b(?:{_PW}\s+(?:is|was|ist|est|es)\s*:?\s*|(?:with|set)\s+password\s+|identified\s+by\s+)(?:{_QUOTED}|{_BARE})")),
+    ("password", re.compile(r"(?i)(?<=[a-z0-9])://[^\s/:@\"'`]*:(?P<b>[^\s/@\"'`]+)@")),
+    ("password", re.compile(r"(?i)\s(?:-u|--user|--auth|--userpwd)[\s=]+[\"']?[\w.\-]+:(?P<b>[^\s\"'`]+)")),
+    ("password", re.compile(r"""(?i)(?<![\w/])(?:svc|admin|root|user|login|creds?|credentials?)[\s]*[:/](?P<b>[^\s"'`,;:/]{6,})""")),
+    ("key_or_token", re.compile(rf"(?i){_KEY}{_SEP}(?:{_QUOTED}|{_BARE})")),
+    ("key_or_token", re.compile(rf"(?i)--{_KEY}[\s=]+(?:{_QUOTED}|{_BARE})")),
+    ("key_or_token", re.compile(r"(?i)\b(?:bearer|token|basic|apikey)\s+(?P<b>[A-Za-z0-9_\-+/.=]{16,})")),
+    ("key_or_token", re.compile(rf"(?i)\b{_KEY}\s+(?:is|was|for the call:?|ist|est|es)\s*:?\s*(?:{_QUOTED}|{_BARE})")),
+    ("key_or_token", re.compile(r"(?i)\b(?:accepts|use|used|with|key)\b[^\n]{0,40}?\s(?P<b>[A-Za-z0-9_\-+/.=]{20,})(?=\s+as\s+(?:\w+\s+)?(?:key|token|secret))")),
+    ("key_or_token", re.compile(r"(?<![A-Za-z0-9_\-])(?P<b>(?:zk_live_|nbp_|qtx-)[A-Za-z0-9_\-]{16,}|VLT[A-Z0-9]{17}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)?)(?![A-Za-z0-9])")),
+]
+_NOT = re.compile(r"(?i)[$%]?\{|^[$%<]|\$\(|\*{3,}|x{4,}|^\.{3,}|•|<[^>]*>|^(?:null|none|nil|true|false|undefined|str|string|bytes|optional|changeme|redacted\w*|placeholder|example|required|todo|tbd|masked|hidden|empty)\b|your|replace[_-]?me|change[_-]?me|_here$|\[redacted|dummy|os\.environ|process\.env|getenv|getpass|^env[.:(\[]|^vault:|^secret[s]?[.:/]|^ref[:+]|^file:|^ssm:|^arn:|^config[.\[]|^settings\.|^args?\.|^opts\.|^self\.|^sha\d+[:-]")
+_CODE = re.compile(r"^[A-Za-z_][\w.]*[(\[]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$|^[A-Za-z_]+$")
+_HASHY = re.compile(r"(?i)(?:sha\d*|md5|hash|checksum|digest|etag|integrity|public|pub|fingerprint|request|trace|commit|duplicate|primary|foreign|cache|partition|sort|row|idempotency|ssh)[\s_.\-]?(?:key|id|token)?\W*$")
+
+
+def _fits(kind: str, v: str, quoted: bool) -> bool:
+    if _NOT.search(v) or "-----BEGIN" in v:
+        return False
+    if kind == "password":
+        if quoted:
+            return not v.endswith((": ", ":")) and " " not in v.strip() and len(v) >= 4 or len(v.split()) in (3, 4, 5) and v.replace(" ", "").isalnum() and not v[0].isupper()
+        return bool(re.search(r"\d", v)) and not _CODE.match(v) and len(v) >= 6
+    mixed = bool(re.search(r"\d", v)) or bool(re.fullmatch(r"[A-Z]{16,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/=]{20,}", v))
+    return len(v) >= 12 and " " not in v and mixed and "/" not in v[:1] and not re.match(r"\w+\(|https?:|data:|\w+/\w+\.|\d{4}-\d\d-\d\d", v) and (v.startswith("eyJ") or not _CODE.match(v))
+
+
+def secrets(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each value, apart and in order."""
+    out = []
+    for m in _BLOCK.finditer(text):
+        if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m["body"])) >= 40 and "..." not in m["body"] and "<" not in m["body"]:
+            body = m["body"].rstrip() if not m[0].endswith("-----") else None
+            out.append((m.start(), m.end() if body is None else m.start("body") + len(body), "private_key"))
+    for kind, form in _FORMS:
+        for m in form.finditer(text):
+            g = m.groupdict()
+            name, which = ("v", True) if g.get("v") is not None else ("b", False)
+            a, b = m.span(name)
+            if not which:
+                b = a + len(text[a:b].rstrip(".:\\"))
+            v = text[a:b]
+            if v and _fits(kind, v, which) and not (kind == "key_or_token" and _HASHY.search(text[max(0, m.start() - 24) : m.start()] + re.split(r"[=:]", m[0][: a - m.start()])[0])) and not any(x < b and a < y for x, y, _ in out):
+                out.append((a, b, kind))
+                if which and (more := re.compile(r"(?:\s*\+?\s*\\?\n?\s*[\"'`](?P<v>[^\"'`\n]+)[\"'`])+(?=\s*\))").match(text, b + len(g["q"]))) and "(" in m[0]:
+                    out += [(x.start(1), x.end(1), kind) for x in re.compile(r"[\"'`]([^\"'`\n]+)[\"'`]").finditer(text, more.start(), more.end())]
+    return sorted(set(out))
+
+
+def redact(text: str) -> str:
+    """A bare word takes the place of each value, so quotes, URLs and YAML around it stay as they are."""
+    at, out = 0, []
+    for a, b, kind in secrets(text):
+        if a >= at:
+            out += [text[at:a], f"REDACTED_{kind.upper()}"]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def _found(r: dict) -> list[dict]:
+    key = {k: r[k] for k in ("field", "conversation_id", "sequence")}
+    return [key | {"kind": k} for k in {k for _, _, k in secrets(r["text"])}]
+
+
+def _redacted(r: dict) -> list[dict]:
+    return [r | {"text": redact(r["text"])}]
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return map_rows(fields(spark, d).where(F.col("text").rlike(HINT)), _found, "field string, conversation_id string, sequence int, kind string").distinct()
+
+
+def redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, with each literal credential replaced."""
+    return map_rows(fields(spark, d), _redacted, "field string, conversation_id string, sequence int, text string")

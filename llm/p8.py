@@ -1,0 +1,54 @@
+"""Documents in containers of 2,048 tokens: first-fit decreasing over the counts of each size."""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from llm.common import TOKEN, blank, table, tokens
+
+SIZE = 2048
+
+
+def plan(counts: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(size, first rank, number in a container, containers, first container): each container takes the largest size left, then whatever largest still fits."""
+    left, sizes, taken, out, base = dict(counts), sorted(counts), Counter(), [], 0
+    while sizes:
+        room, holds, at = SIZE, Counter(), len(sizes)
+        while at := bisect_right(sizes, room, 0, at):
+            s = sizes[at - 1]
+            holds[s] = min(left[s], room // s)
+            room -= s * holds[s]
+            at -= 1
+        times = min(left[s] // k for s, k in holds.items())
+        for s, k in holds.items():
+            out.append((s, taken[s], k, times, base))
+            taken[s] += k * times
+            left[s] -= k * times
+            if not left[s]:
+                sizes.remove(s)
+        base += times
+    return out
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & ~blank(F.col("text"))).select("doc_id", "text", tokens(F.col("text")).alias("n"))
+    small = df.where(f"n between 1 and {SIZE}").select("doc_id", F.lit(0).alias("piece"), F.col("n").alias("tokens"), "text")
+    large = df.where(f"n > {SIZE}").withColumn("each", F.regexp_extract_all("text", F.lit(rf"((?U)\s*{TOKEN[4:]}(?:\s+$)?)"), F.lit(1)))
+    large = large.select("doc_id", "n", "each", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / SIZE).cast("int"))).alias("piece"))
+    large = large.withColumn("part", F.slice("each", F.col("piece") * SIZE + 1, F.lit(SIZE))).select("doc_id", "piece", F.size("part").cast("long").alias("tokens"), F.array_join("part", "").alias("text"))
+    return small.unionAll(large)
+
+
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    """Only a text of more than 2,048 tokens has more than one piece; its pieces joined are the text."""
+    pieces = _pieces(spark, d)
+    counts = {r["tokens"]: r["count"] for r in pieces.groupBy("tokens").count().collect()}
+    rows = plan(counts) or [(0, 0, 1, 0, 0)]
+    fit = spark.createDataFrame(rows, "tokens long, first long, each long, times long, base long")
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("tokens").orderBy("doc_id", "piece")) - 1)
+    at = ranked.join(F.broadcast(fit), "tokens").where("rank >= first and rank < first + each * times")
+    return at.select(F.expr("base + (rank - first) div each").alias("container_id"), "doc_id", "piece", "tokens", "text")

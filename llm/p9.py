@@ -1,0 +1,54 @@
+"""Documents as a mixture of the sources in their target shares."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from llm.common import blank, table, tokens
+
+BUCKETS = 256
+
+
+def budgets(targets: dict[str, tuple[float, int]], there: dict[str, int]) -> dict[str, float]:
+    """Tokens of each source: the largest total that no source which has documents falls short of."""
+    able = {s: n * targets[s][1] / targets[s][0] for s, n in there.items() if n and targets[s][0] > 0 and targets[s][1] > 0}
+    total = min(able.values(), default=0)
+    return {s: targets[s][0] * total for s in able}
+
+
+def _used(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets").where("source is not null").cache()
+    docs = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & ~blank(F.col("text"))).join(F.broadcast(targets.select("source")), "source")
+    docs = docs.withColumn("key", F.xxhash64(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit(9)))
+    # a text that several documents or sources hold counts once, for one of them
+    once = docs.groupBy("key").agg(F.min_by(F.struct("source", "doc_id", "text"), F.struct("source", "doc_id")).alias("x")).select("key", "x.*")
+    once = once.withColumn("tokens", tokens(F.col("text"))).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    sums = {(r["source"], r["bucket"]): r["n"] for r in once.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).collect()}
+    want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
+    there = {s: sum(n for (x, _), n in sums.items() if x == s) for s in want}
+    budget, rows = budgets(want, there), []
+    for s, b in budget.items():
+        rounds = min(int(b / there[s] + 1e-9), want[s][1])
+        before = 0
+        for k in range(BUCKETS):
+            rows.append((s, k, rounds, before, b - rounds * there[s], want[s][1]))
+            before += sums.get((s, k), 0)
+    cut = spark.createDataFrame(rows, "source string, bucket long, rounds int, before long, rest double, most int")
+    w = Window.partitionBy("source", "bucket").orderBy("key")
+    at = once.join(F.broadcast(cut), ["source", "bucket"]).withColumn("end", F.col("before") + F.sum("tokens").over(w))
+    # past the whole rounds, one more copy of each text whose middle still lies within the budget: the total is off by half a text at most
+    copies = F.least("most", F.col("rounds") + (F.col("end") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    return at.withColumn("copies", copies).where("copies > 0"), targets
+
+
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    """copies: how often the text is used."""
+    return _used(spark, d)[0].select("doc_id", "source", "copies", "tokens", "text")
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    used, targets = _used(spark, d)
+    by = used.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count("*").alias("texts"), F.max("copies").alias("repeats"))
+    total = F.sum("tokens").over(Window.partitionBy())
+    return targets.join(by, "source", "left").fillna(0, ["tokens", "texts", "repeats"]).select("source", "target_share", "max_repeats", "tokens", "texts", "repeats", F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("share"))

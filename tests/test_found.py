@@ -1,0 +1,100 @@
+"""One small case for each operator, and the whole registration."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import __spark_entry__
+from llm import p1, p2, p4, p5, p7, p8, p9, p10
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+    yield s
+    s.stop()
+
+
+def test_every_problem_is_registered():
+    names = set(__spark_entry__.queries())
+    assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} <= names
+    assert {"p1_pieces", "p2_masked", "p3_conversations", "p4_instants", "p5_loaded", "p6_top5", "p7_redacted", "p8_containers", "p9_mixture", "p9_shares", "p10_shares"} <= names
+
+
+def test_p1_pieces_overlap_and_cover():
+    text = "One sentence here. " * 300
+    cuts = p1.cut(text)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
+    assert all(b - a <= 1500 for a, b in cuts) and all(b[0] == a[1] - 200 for a, b in zip(cuts, cuts[1:]))
+
+
+def test_p2_types_and_mask():
+    given, family = ("Greta",), ("Wexcombe",)
+    text = "Ask Greta Wexcombe, greta(at)example.net, +1 555 010 0115, SSN 989-03-7396, 56 Nettlecombe St., Westerfelde. Pinned `@tools/x@1.2.3`, git@forge.invalid:a/b."
+    assert {k for _, _, k in p2.entities(text, given, family)} == {"email", "phone", "id_number", "street_address", "person_name"}
+    assert p2.mask("mail a.b@example.org now", given, family) == "mail [EMAIL] now"
+    assert p2.entities("Pinned `@tools/x@1.2.3` from git@forge.invalid:a/b.git", given, family) == []
+
+
+@pytest.mark.parametrize(
+    "text, home, want",
+    [
+        ("2024-08-07 23:46:18 America/Sao_Paulo", None, 1723085178000000),
+        ("05/10/2025 06:42:23 AM", None, 1746859343000000),
+        ("1716909234.126", None, 1716909234126000),
+        ("2025-03-30 02:24:25", "Europe/Berlin", None),
+        ("2025-10-26 02:30", "Europe/Berlin", 1761438600000000),
+        ("2025-02-30 10:15:00", None, None),
+    ],
+)
+def test_p4_instant(text, home, want):
+    assert p4.instant(text, home) == want
+
+
+def test_p5_lines():
+    assert p5.load_json('{"type":"user","message":{"role":"user","content":"a\tb"}}')["content"] == "a\tb"
+    for bad in ('{"type":"user","message":{"role":"assistant","content":""}}', '{"type":"user"}', '{"type":"session_meta","timestamp":"2025-02-30T00:00:00Z"}', '{"type":"session_meta","n":NaN}'):
+        with pytest.raises(ValueError):
+            p5.load_json(bad)
+    assert p5.split_csv('a,"b ""c"", d",') == ["a", 'b "c", d', ""]
+
+
+def test_p7_values_are_replaced():
+    assert p7.redact('url = "proto://svc:comet-copper-8215@db:5432/x"') == 'url = "proto://svc:REDACTED_PASSWORD@db:5432/x"'
+    assert p7.redact("  api_key: 'nbp_bd6a52397ae8c378e523451fb58ef9d4b803'") == "  api_key: 'REDACTED_KEY_OR_TOKEN'"
+    for no in ('API_KEY = os.environ["API_KEY"]', 'api_key = "YOUR_API_KEY"', 'secret_key = "********"', 'password = getpass("Password: ")', "const key = `group-${opts.id}`;"):
+        assert p7.secrets(no) == []
+
+
+def test_p8_plan_fills_whole_containers():
+    counts = {2048: 3, 1500: 4, 548: 4, 100: 7}
+    rows = p8.plan(counts)
+    assert {s: sum(k * t for x, _, k, t, _ in rows if x == s) for s in counts} == counts
+    fill = {}
+    for s, _, k, times, base in rows:
+        for c in range(base, base + times):
+            fill[c] = fill.get(c, 0) + s * k
+    assert max(fill.values()) <= 2048 and len(fill) == 8
+
+
+def test_p9_budgets_keep_the_shares():
+    assert p9.budgets({"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 1)}, {"a": 100, "b": 90, "c": 0}) == {"a": 150.0, "b": 90.0}
+
+
+def test_p10_marks_and_endings():
+    assert p10.ending("Let me look at the log … (truncated)")[0] and p10.ending("```sql\nSELECT 1")[0]
+    assert p10.ending("All done.") == (False, None) and p10.ending("Hash the sidecar") == (False, None)
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_conversations", "p4_found", "p5_found", "p6_found", "p7_found", "p8_containers", "p9_shares", "p10_found"])
+def test_whole_tables_run(spark, name):
+    assert __spark_entry__.queries()[name](spark, DATA).count() > 0
