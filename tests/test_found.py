@@ -98,3 +98,7 @@ def test_p10_marks_and_endings():
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_conversations", "p4_found", "p5_found", "p6_found", "p7_found", "p8_containers", "p9_shares", "p10_found"])
 def test_whole_tables_run(spark, name):
     assert __spark_entry__.queries()[name](spark, DATA).count() > 0
+
+
+def test_entry_gives_rows(spark):
+    assert __spark_entry__.entry(spark).count() > 0
