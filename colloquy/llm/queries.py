@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from colloquy.llm import credentials, pii, threads
+from colloquy.llm import credentials, pii, split, threads, truncated
 
 QUERIES = {
+    "p1_found": split.found,
+    "p1_pieces": split.all_pieces,
     "p2_found": pii.found,
     "p2_masked": pii.masked,
     "p3_found": threads.found,
     "p3_conversations": threads.conversations,
     "p7_found": credentials.found,
     "p7_redacted": credentials.redacted,
+    "p10_found": truncated.found,
+    "p10_shares": truncated.shares,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p1_found": split.FOUND_SQL}
