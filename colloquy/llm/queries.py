@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import credentials, pii, split, threads, truncated
+from colloquy.llm import credentials, neighbours, pii, split, threads, truncated
 
 QUERIES = {
     "p1_found": split.found,
@@ -11,6 +11,9 @@ QUERIES = {
     "p2_masked": pii.masked,
     "p3_found": threads.found,
     "p3_conversations": threads.conversations,
+    "p6_found": neighbours.found,
+    "p6_top5": neighbours.top5,
+    "p6_recall": neighbours.recall,
     "p7_found": credentials.found,
     "p7_redacted": credentials.redacted,
     "p10_found": truncated.found,

@@ -23,7 +23,9 @@ from colloquy.core import blank, map_rows, map_slices, new_path, table
 SAMPLE, CUTS, BITS, EPOCHS, ROUNDS, THRESHOLD = 4000, 10, 18, 5, 3, 0.5
 _WORD = re.compile(r"[^\W\d_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]{1,2}(?=[^぀-ヿ㐀-鿿]*$)")
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”»)\]`*]*(?=\s|$)")
-MARKS = ["...", "…", " ...", "[...]", " [truncated]", "... (truncated)", "...[truncated]", " (truncated)", "... [cut]", "<truncated>", " [message truncated]", "…[cut off]", " (cut off)", "[snip]", " [output cut]", "\n[remaining text omitted]", "\n... 12 more lines", " [cut]", "\n(rest omitted)", " <snip>", " [continues]", "\n[text cut here]", " (continued)", " [...more]", "\n--- truncated ---", " [abgeschnitten]", " [tronqué]", " (以下省略)", " [log truncated]"]
+MARKS = ["...", "…", " ...", "[...]", " [truncated]", "... (truncated)", "...[truncated]", " (truncated)", "... [cut]", "<truncated>", " [message truncated]", "…[cut off]", " (cut off)", "[snip]", " [output cut]", "\n[remaining text omitted]", "\n... 12 more lines", " [cut]", "\n(rest omitted)", " <snip>", " [continues]", "\n[text cut here]", " (continued)", " [...more]", "\n--- truncated ---", " [abgeschnitten]", " [tronqué]", " (以下省略)", " [log truncated]", "\n--- message clipped ---", " [clipped]", " <more>", "\n[body shortened]"]
+#: Beginnings of structures, to be cut anywhere after their first characters.
+STRUCTURES = ['{"tool": "read_file", "args": {"path": "lib/a/b.py", "rows": [4, 93, 45, 86, 12, 7]}, "note": "Now the reader keeps each value once."}', "```python\ndef first(rows):\n    for item in second(rows):\n        raise KeyError(item)\n    return third(rows, 12)\n```", "```js\nasync function first(opts) {\n  const a = await second(opts.b);\n  if (!opts.c) return null;\n  // later\n  items.push({ id: 3, kind: 'a' });\n}\n```", "see https://a.invalid/b/cde_f?from=x&to=y%20z&lang=en#part", "```sql\nSELECT a_id, count(*) AS n\nFROM b_log\nWHERE c > 3\nGROUP BY a_id;\n```", '[{"id":12,"kind":"a","n":3},{"id":14,"kind":"b","n":9}]']
 #: What a cut in transfer leaves: half an entity, half an escape, a broken character.
 BROKEN = ["&am", "&#x2", "&quo", "&l", "&", "&#3", "&#x27", "&nbs", "&g", "%", "%2", "%E", "\ufffd", "\ufffd", "\\u00", "\\", "\\u", "%C3%"]
 _FIELDS = "doc_id bigint, source string, size int, label int, weight double, last_word string, before string, features array<int>"
@@ -90,7 +92,7 @@ def features(text: str, source: str | None) -> tuple[list[int], str, str]:
     f = [
         ("bias",), ("c1", end[-1:]), ("c2", end[-2:]), ("kind", kind), ("stop", end_stop[-6:]), ("w1", w[2], kind), ("w2", w[1], w[2], kind), ("w3", w[0], w[1], w[2], kind), ("w1n", w[2]), ("token", _shape(token)[-8:]), ("head", head, kind, many), ("src", source, kind), ("src2", source, kind, head),
         ("many", many, kind), ("mark", bool(mark)), ("dots", dots, len(words) and len(words[-1]) > 2), ("space", len(t) != len(end), kind), ("open", bool(open_), kind), ("w1open", bool(open_), w[2]), ("nl", text.endswith("\n"), kind),
-        ("ctx", *before, _shape(token)[-4:], kind), ("ctx1", *before[-1:], "/" in token, kind), ("broken", bool(broken), _shape(broken[0])[:2] if broken else ""), *[("said", x, bool(mark)) for x in said[:6]], ("closing", closing is not None and len(said) in (1, 2, 3), end.endswith(("]", ")", ">", "-"))),
+        ("ctx", *before, _shape(token)[-4:], kind), ("srcwords", source, min(len(text.split()), 10), kind), ("cjk", "\u3040" <= end[-1:] <= "\u9fff", "。" in text, kind), ("query", bool(re.search(r"[=&?%#]$", token)), "://" in token), ("any", bool(open_), "{" in token or "," in line), ("ctx1", *before[-1:], "/" in token, kind), ("broken", bool(broken), _shape(broken[0])[:2] if broken else ""), *[("said", x, bool(mark)) for x in said[:6]], ("closing", closing is not None and len(said) in (1, 2, 3), end.endswith(("]", ")", ">", "-"))),
         *[("open", o) for o in open_], *[("openk", o, kind) for o in open_], ("suffix", last[-3:], kind), ("len", min(len(last), 9), kind), ("mid", _shape(token)[-3:], kind), ("single", "\n" not in end, many, kind), ("path", bool(re.search(r"[/\\]", token)), bool(re.search(r"\.\w{1,4}$", token)), kind),
     ]
     return [_h(*x) for x in f], last, words[-2] if len(words) > 1 else ""
@@ -133,6 +135,11 @@ def _examples(r: dict) -> list[dict]:
             elif mark.startswith("&") and at(0.6):
                 whole = whole.rstrip() + " "
             add(whole + mark, 1, at(0.5) and not mark, 1.0)
+        for m in rnd.sample(ends, min(len(ends), 1)):
+            piece = rnd.choice(STRUCTURES)
+            k = rnd.randrange(14, len(piece) - 3)
+            if "://" not in piece or piece[k - 1] in "=&?%#" or piece[k - 1].isalpha() and at(0.3):
+                add(text[: m.end()] + rnd.choice(["\n\n", "\n", " "]) + piece[:k], 1, at(0.5), 1.0)
         for m in rnd.sample(ends, min(len(ends), 2)):
             add(text[: m.end()] + rnd.choice(MARKS[3:] + BROKEN[-6:]), 1, False, 1.0)
     return out
@@ -191,6 +198,16 @@ def _balanced(label: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.where(label == 1, weight * (zeros / max(ones, 1e-9)), weight) if ones and zeros else weight
 
 
+def _floor(source: np.ndarray, p: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The least weight of a value of each source. Where the model holds a third of a source to be cut, its values rather end without a stop by habit, as titles do."""
+    out = np.full(len(p), 0.02)
+    for s in np.unique(source):
+        own = raw & (source == s)
+        if own.any() and (p[own] > 0.5).mean() > 1 / 3:
+            out[own] = 0.5
+    return out
+
+
 def scored(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, source, score) of every record of docs, which has doc_id, source and the text."""
     spark = docs.sparkSession
@@ -223,12 +240,12 @@ def scored(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFra
     w = None
     if rows:
         x, y, k = _rows(rows), np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows])
-        raw, k = k < 0, np.abs(k)
+        raw, k, source = k < 0, np.abs(k), np.array([str(r["source"]) for r in rows])
         # first without the values themselves, then with each so far as the last model holds it to be intact
         w = fit(x[~raw], y[~raw], _balanced(y[~raw], k[~raw]))
         for _ in range(ROUNDS):
             p = 1 / (1 + np.exp(-w[x].sum(1)))
-            own = np.where(raw, k * (1 - p), k)
+            own = np.where(raw, k * np.maximum(1 - p, _floor(source, p, raw)), k)
             w = fit(x, y, _balanced(y, own))
 
     def score(part: list[dict]) -> list[dict]:
