@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import credentials, neighbours, pii, split, threads, truncated
+from colloquy.llm import credentials, mixing, neighbours, packing, pii, split, threads, truncated
 
 QUERIES = {
     "p1_found": split.found,
@@ -16,6 +16,10 @@ QUERIES = {
     "p6_recall": neighbours.recall,
     "p7_found": credentials.found,
     "p7_redacted": credentials.redacted,
+    "p8_containers": packing.all_containers,
+    "p8_report": packing.report,
+    "p9_mixture": mixing.mixture,
+    "p9_shares": mixing.shares,
     "p10_found": truncated.found,
     "p10_shares": truncated.shares,
 }
