@@ -10,8 +10,9 @@ EXTENSIONS = (
     "py js ts tsx jsx json jsonl toml yaml yml md html css scss sql sh bash zsh cfg ini txt xml csv parquet lock env dockerfile "
     "rs go java c h cpp hpp rb php swift kt scala ex exs erl hs ml r jl vue svelte astro prisma graphql proto tf conf log pid sock wasm map"
 ).split()
-# The end of the word is written out, since word boundaries differ between engines beside letters outside ASCII.
-PATH = r"(?i)((?:[A-Za-z0-9_./~\\-]+[/\\])?[A-Za-z0-9_.-]+\.(?:" + "|".join(sorted(EXTENSIONS, key=len, reverse=True)) + r"))(?:[^A-Za-z0-9_]|$)"
+# A path is looked for in a run of path characters, up to the last known extension in it; so no text is scanned twice, however long its runs are.
+RUN = r"[A-Za-z0-9_./~\\-]+"
+PATH = r"(?i)^(.*\.(?:" + "|".join(sorted(EXTENSIONS, key=len, reverse=True)) + r"))(?:[^A-Za-z0-9_].*)?$"
 FENCE = r"(?s)```(?:[A-Za-z0-9_]+)?\n(.*?)```"
 WORDS = "[^a-z0-9]+"
 
@@ -26,11 +27,16 @@ def field_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[_\-/\\.:]", " "), r"\s+"), lambda w: w != "")
 
 
+def _paths(text: Column) -> Column:
+    runs = F.filter(F.regexp_extract_all(text, F.lit(RUN), 0), lambda r: r.contains("."))
+    return F.filter(F.transform(runs, lambda r: F.regexp_extract(r, PATH, 1)), lambda p: p != "")
+
+
 def file_paths(text: Column) -> Column:
     """Paths in order of first appearance, those in backticks first, with forward slashes and without a leading ./"""
     plain = lambda p: F.regexp_replace(F.translate(p, "\\", "/"), r"^\./", "")
-    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), 1), lambda s: F.regexp_extract_all(F.trim(s), F.lit(PATH), 1)))
-    return F.array_distinct(F.transform(F.concat(quoted, F.regexp_extract_all(text, F.lit(PATH), 1)), plain))
+    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), 1), _paths))
+    return F.array_distinct(F.transform(F.concat(quoted, _paths(text)), plain))
 
 
 def code_blocks(text: Column) -> Column:
