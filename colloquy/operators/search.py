@@ -15,6 +15,10 @@ from colloquy.functions import text as T
 from colloquy.functions import vectors as V
 
 
+def _times(term: str) -> Column:
+    return F.size(F.filter("tok", lambda w: w == term))
+
+
 def bm25(docs: DataFrame, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75, tokens=T.words, okapi: bool = False, keep_zero: bool = False) -> DataFrame:
     """docs with `score` for the query terms. One pass counts the terms in each row, one aggregation of a single row has the statistics of the corpus.
 
@@ -22,7 +26,7 @@ def bm25(docs: DataFrame, text: str, terms: list[str], k1: float = 1.2, b: float
     terms = terms if okapi else list(dict.fromkeys(terms))
     d = docs.withColumn("tok", tokens(F.col(text))).withColumn("dl", F.size("tok"))
     for i, t in enumerate(terms):
-        d = d.withColumn(f"tf{i}", F.size(F.filter("tok", lambda w, t=t: w == t)))
+        d = d.withColumn(f"tf{i}", _times(t))
     d = d.drop("tok")
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     if okapi:
