@@ -50,8 +50,8 @@ def shape(token: str) -> int:
     if n == 1 and not token.isalnum():
         return 10 * 12 + 1
     size = n if n < 6 else 6 if n < 9 else 7 if n < 13 else 8 if n < 18 else 9 if n < 26 else 10 if n < 41 else 11
-    plain = unicodedata.normalize("NFD", token) if not token.isascii() else token
-    plain = "".join(c for c in plain if not unicodedata.combining(c)) if plain is not token else token
+    # letters outside ASCII count by their case
+    plain = token if token.isascii() else "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.islower() else c for c in token)
     kind = next((i for i, p in enumerate(_SHAPES) if p.fullmatch(plain)), 9 if token[0].isalpha() else 10)
     return kind * 12 + size
 

@@ -13,9 +13,9 @@ import string
 
 Row = tuple[str, list[tuple[int, int, str]]]
 
-GIVEN = "Adela Borys Cleo Dorrit Elvan Fenna Gustl Hanneke Isra Joris Kaveh Lotte Milo Neave Osric Pia Quentin Runa Stellan Thora Umar Vesna Wilfred Xavi Ylva Zahra Åse Émile Jürgen Chloé Ingrid Tomás Siân Opal Clay Forrest Ivy Hazel Rose Ash Cliff Sunny Pearl Holly Daria Emre Faisal Gwen Hiro Ilse Kenji Marisol".split()
-FAMILY = "Abernath Birchmoor Castlereed Dunholt Everlake Foxgrove Glenmarsh Hollowell Ironbridge Jutteborg Kingsmere Lindqvar Marchbanks Norrvik Orchardson Pemberwick Quistgaard Ravensholm Stormvale Thistlewood Ulvestad Vandermoor Westerby Yelverton Zimmerlund O'Farrowby Mac-Dunnell d'Arcelle Bell Woods Field Moss-Hartley Clay-Norring Larch Mbeyani Nakagomi Oyelarin Petrovek Szczebor Takeshida".split()
-STREETS = "Alderbrook Bramblewood Cinderford Dovecote Elmhurst Foxglove Greyfriar Hopfield Ivybridge Juniper Kilnbank Lavender Meadowsweet Northgate Oldmill Potter's Ridgeway".split() + ["Old Mint", "Long Acre", "New Weir"]
+GIVEN = "Adela Borys Cleo Dorrit Elvan Fenna Gustl Hanneke Isra Joris Kaveh Lotte Milo Neave Osric Pia Quentin Runa Stellan Thora Umar Vesna Wilfred Xavi Ylva Zahra Åse Émile Jürgen Chloé Ingrid Tomás Siân Opal Clay Forrest Ivy Hazel Rose Ash Cliff Sunny Pearl Holly Daria Emre Faisal Gwen Hiro Ilse Kenji Marisol Jørgen Øystein Žofie Łucja Renée Bjørn Søla".split()
+FAMILY = "Abernath Birchmoor Castlereed Dunholt Everlake Foxgrove Glenmarsh Hollowell Ironbridge Jutteborg Kingsmere Lindqvar Marchbanks Norrvik Orchardson Pemberwick Quistgaard Ravensholm Stormvale Thistlewood Ulvestad Vandermoor Westerby Yelverton Zimmerlund O'Farrowby Mac-Dunnell d'Arcelle Bell Woods Field Moss-Hartley Clay-Norring Larch Mbeyani Nakagomi Oyelarin Petrovek Szczebor Takeshida Hallweger-Orm Fenwick-Dahl Brandl-Uhr Corrowin Larrow Bellamont".split()
+STREETS = "Alderbrook Bramblewood Cinderford Dovecote Elmhurst Foxglove Greyfriar Hopfield Ivybridge Juniper Kilnbank Lavender Meadowsweet Northgate Oldmill Potter's Ridgeway".split() + ["Old Mint", "Long Acre", "New Weir", "Old Bakery", "Cooper's", "Weaver's", "Mason's", "Fuller's"]
 TOWNS = "Ashcombe Brightwater Coldharbour Dunesford Eastmere Fallowfield Graymouth Highcliff Inverloch Nieder-Walde Saint-Aubrin Porto Velden".split() + ["Port Amble", "Mount Cary", "San Ardo"]
 NOUNS = "cache parser queue shard ledger worker buffer schema cursor router snapshot digest window token index record header thread socket bucket session payload digest stream lexer mailer planner".split()
 VERBS = "flushes splits merges retries scans packs drops caches rotates hashes counts prunes batches rebuilds loads".split()
@@ -198,7 +198,7 @@ CODE = [
 ]
 
 PII_FORMS = [
-    "cc {email}, thanks", "ValueError: no account for '{email}'", "ValueError: no account for 'mailto:{email}'", "<a href=\"mailto:{email}\">contact</a>", "<a href=\"{email}\">contact</a>", "notify = [\"{email}\"]", "From: {email}", "You can reach the owner at {email} if it fails again.", "The export goes to {email} every night.", "Escríbeme a {email} por favor", "Schreib an {email}, bitte", "WHERE mail = '{email}'", "login fails for user {email} since the upgrade", "2025-03-{d2} WARN mailer bounced ({email})", "2025-03-{d2} WARN mailer bounced (mailto:{email})", "contact: {email}", "To: {email}; {email}", "send the dump to {email}.", "\"mail\": \"{email}\",", "user={email} status=403", "Reply-To: <{email}>",
+    "cc {email}, thanks", "ValueError: no account for '{email}'", "ValueError: no account for 'mailto:{email}'", "<a href=\"mailto:{email}\">contact</a>", "<a href=\"{email}\">contact</a>", "notify = [\"{email}\"]", "From: {email}", "You can reach the owner at {email} if it fails again.", "The export goes to {email} every night.", "Escríbeme a {email} por favor", "Schreib an {email}, bitte", "WHERE mail = '{email}'", "login fails for user {email} since the upgrade", "login fails for user {email} since the upgrade", "cc {email}, thanks", "Escríbeme a {email} por favor", "2025-03-{d2} WARN mailer bounced ({email})", "2025-03-{d2} WARN mailer bounced (mailto:{email})", "contact: {email}", "To: {email}; {email}", "send the dump to {email}.", "\"mail\": \"{email}\",", "user={email} status=403", "Reply-To: <{email}>",
     "fax {phone} cc {email}, thanks", "Signed-off-by: {name} <{email}>", "Co-authored-by: {name} <{email}>", "applicant;{family2};{given2};{phone};{email}", "id;{n};{name};{phone};{email}", "{\"name\": \"{name}\", \"ssn\": \"{idn}\", \"mail\": \"{email}\", \"plan\": \"{adj}\"}", "INSERT INTO users VALUES ('{name}', '{phone}', '{email}');",
     "The form rejected {phone} as invalid.", "fax {phone}", "tel:{phone}", "sms sent to {phone} in {n} s", "Call {phone} when the nightly run breaks.", "On-call today: {phone}.", "my number is {phone}", "\"contact_phone\": \"{phone}\"", "Rückruf bitte unter {phone}", "mobile {phone}", "phone: {phone}", "Mon numéro est le {phone}", "// tel:{phone}", "phone = '{phone}'",
     "The sample row still holds {idn}.", "please remove my {idn} from the log", "The record was matched by {idn}.", "INSERT failed for applicant ({idn})", "duplicate key: {idn}", "Test user: plan basic, {idn}, active", "\"ssn\": \"{idn}\"", "my {idn} was printed in the trace", "customer verified with {idn}", "# {idn}",
