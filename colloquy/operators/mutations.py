@@ -46,7 +46,7 @@ def update_newer(old: DataFrame, new: DataFrame, key: str, stamp: str, columns:
 def delete(df: DataFrame, keys: DataFrame, on: list[str], condition: Column | None = None) -> DataFrame:
     """df without the rows whose key is in keys (and for which condition holds)."""
     if condition is None:
-        return df.join(keys.select(*on).distinct(), on, "left_anti")
+        return df.join(keys.select(*on).distinct(), on, "left_anti").select(*df.columns)
     marked = df.join(keys.select(*on).distinct().withColumn("_hit", F.lit(True)), on, "left")
     return marked.where(~(F.coalesce("_hit", F.lit(False)) & F.coalesce(condition, F.lit(False)))).drop("_hit").select(*df.columns)
 

@@ -127,13 +127,13 @@ def grown(spark: SparkSession, store: str, rows: DataFrame) -> DataFrame:
 def normalised(rows: DataFrame, text: str, zone: str | None = None, store: str | None = None) -> DataFrame:
     """rows with instant_us, microseconds since 1970-01-01 UTC or NULL, for the column text; zone names the column of the zone that holds where text has none.
 
-    store: the folder of the dictionary, kept between calls. Without one, a new folder in the shared directory is used."""
+    A column instant_us that rows has already is replaced. store: the folder of the dictionary, kept between calls. Without one, a new folder in the shared directory is used."""
     spark = rows.sparkSession
-    t = rows.withColumn("ts_text", F.col(text)).withColumn("ts_zone", entry_zone(F.col(text), F.col(zone) if zone else F.lit(None).cast("string")))
-    entries = grown(spark, store or new_path(spark, "instants"), t).select(F.xxhash64("ts_text", "ts_zone").alias("ts_hash"), F.col("ts_text").alias("o_text"), F.col("ts_zone").alias("o_zone"), "instant_us")
+    t = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(text).alias("ts_text"), entry_zone(F.col(text), F.col(zone) if zone else F.lit(None).cast("string")).alias("ts_zone"))
+    entries = grown(spark, store or new_path(spark, "instants"), t).select(F.xxhash64("ts_text", "ts_zone").alias("o_hash"), F.col("ts_text").alias("o_text"), F.col("ts_zone").alias("o_zone"), "instant_us")
     t = t.withColumn("ts_hash", F.xxhash64("ts_text", "ts_zone"))
-    on = (t["ts_hash"] == entries["ts_hash"]) & (t["ts_text"] == entries["o_text"]) & t["ts_zone"].eqNullSafe(entries["o_zone"])
-    return t.join(entries, on, "left").select(*[t[c] for c in rows.columns], entries["instant_us"])
+    on = (F.col("ts_hash") == F.col("o_hash")) & (F.col("ts_text") == F.col("o_text")) & F.col("ts_zone").eqNullSafe(F.col("o_zone"))
+    return t.join(entries, on, "left").select(*[F.col("row").getField(c).alias(c) for c in rows.columns if c != "instant_us"], "instant_us")
 
 
 # the tables' own fields
