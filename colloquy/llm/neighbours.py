@@ -4,8 +4,8 @@ Method: a forest of random-projection trees, searched through one priority queue
 next, in whichever tree), then exact cosine over the members of the opened leaves.
 
 The trees are fitted on a bounded sample (SAMPLE vectors), so the model is of bounded size; all vectors are routed. Equal vectors cannot be split, so they are
-searched as one representative and expanded afterwards. A leaf is worked in blocks of BLOCK members against blocks of as many queries, so that no task holds a leaf
-whole however large it is. `recall` measures the answer against brute force over a set of queries in blocks.
+searched as one representative and expanded afterwards. A leaf that the sample shows to be large is worked in blocks of about BLOCK members against blocks of as
+many queries, so that no task holds it whole. `recall` measures the answer against brute force over a set of queries in blocks.
 
 Vectors that are NULL, of another length, with NaN, infinite or NULL parts or all zero are not usable and have no neighbours. A repeated id counts once, with its
 latest row. Ties of similarity (to nine places) go by id. Fewer than k others give fewer neighbours; an empty table gives none. Extra columns are not used.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from colloquy.core import cut, table
 
-K, DIM, TREES, LEAVES, LEAF, SAMPLE, BLOCK, NEAR = 5, 64, 8, 20, 96, 40_000, 4096, 0.9
+K, DIM, TREES, LEAVES, LEAF, SAMPLE, BLOCK, NEAR = 5, 64, 4, 20, 2048, 40_000, 8192, 0.9
 
 
 class Forest:
@@ -30,7 +30,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, leaf: int, trees: int = TREES, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.normal, self.offset, self.child, self.roots, self.leaves = [], [], [], [], 0
+        self.normal, self.offset, self.child, self.roots, self.leaves, self.size = [], [], [], [], 0, []
         for _ in range(trees):
             self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, rng))
         self.normal, self.offset, self.child = np.array(self.normal, np.float32).reshape(-1, sample.shape[1]), np.array(self.offset, np.float32), np.array(self.child, np.int32).reshape(-1, 2)
@@ -41,6 +41,7 @@ class Forest:
             ids, parent, side = todo.pop()
             if len(ids) <= leaf:
                 self.leaves += 1
+                self.size.append(len(ids))
                 here = -self.leaves
             else:
                 a, b = x[rng.choice(ids, 2, replace=False)]
@@ -137,15 +138,17 @@ def _best(k: int, dim: int):
             return _NEAR.empty_table()
         q, r = left["rep"].to_numpy(), right["rep"].to_numpy()
         x, y = _unit(left["embedding"], dim), _unit(right["embedding"], dim)
-        out = []
-        for at in range(0, len(q), 1024):
-            s = np.round(x[at : at + 1024] @ y.T, 9)
-            s[q[at : at + 1024, None] == r[None]] = -2
-            take = min(k, len(r))
-            # ties at the last place all stay; they are settled by id afterwards
-            floor = np.partition(s, len(r) - take, axis=1)[:, len(r) - take]
-            a, b = np.nonzero((s >= floor[:, None]) & (s > -2))
-            out.append(pa.table([pa.array(q[at + a]), pa.array(r[b]), pa.array(s[a, b])], schema=_NEAR))
+        fine, out = np.ascontiguousarray(y.astype(np.float32).T), []
+        take = min(k + 1, len(r))  # the query itself may be among them
+        for at in range(0, len(q), 512):
+            rough = x[at : at + 512].astype(np.float32) @ fine
+            # all that single precision cannot tell from the best are compared exactly; ties at the last place all stay and are settled by id
+            floor = np.partition(rough, len(r) - take, axis=1)[:, len(r) - take] - 1e-5
+            a, b = np.nonzero(rough >= floor[:, None])
+            ok = q[at + a] != r[b]
+            a, b = a[ok], b[ok]
+            s = np.round(np.einsum("ij,ij->i", x[at + a], y[b]), 9)
+            out.append(pa.table([pa.array(q[at + a]), pa.array(r[b]), pa.array(s)], schema=_NEAR))
         return pa.concat_tables(out)
 
     return run
@@ -169,12 +172,27 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, leaves: int = LEA
     n = reps.count()
     model = spark.sparkContext.broadcast(forest(reps, n, dim, leaf))
 
+    # how many blocks of members and of queries each leaf has, from its share of the sample
+    expected = np.array(model.value.size or [0]) * max(1.0, n / SAMPLE)
+    blocks = spark.sparkContext.broadcast((np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64), np.maximum(1, np.ceil(expected * leaves / TREES / BLOCK)).astype(np.int64)))
+
+    def spread_out(b: pa.RecordBatch, at: np.ndarray, leaf_: np.ndarray, own: int) -> pa.RecordBatch:
+        """Each row (at) once for each block of the other side in its leaf."""
+        mine, other = blocks.value[own][leaf_], blocks.value[1 - own][leaf_]
+        rep = b["rep"].to_numpy(zero_copy_only=False)[at]
+        block = np.mod(rep, mine)
+        each = np.repeat(np.arange(len(at)), other)
+        turn = np.arange(len(each)) - np.repeat(np.cumsum(other) - other, other)
+        sides = [block[each], turn]
+        where = pa.array(at[each])
+        return pa.RecordBatch.from_arrays([b["rep"].take(where), b["embedding"].take(where), pa.array(leaf_[each].astype(np.int32)), pa.array(sides[own]), pa.array(sides[1 - own])], names=["rep", "embedding", "leaf", "mb", "qb"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                own = model.value.own(_unit(b["embedding"], dim).astype(np.float32))
-                at = np.repeat(np.arange(len(own)), own.shape[1])
-                yield pa.RecordBatch.from_arrays([b["rep"].take(pa.array(at)), b["embedding"].take(pa.array(at)), pa.array(own.ravel())], names=["rep", "embedding", "leaf"])
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                own = model.value.own(_unit(part["embedding"], dim).astype(np.float32))
+                yield spread_out(part, np.repeat(np.arange(len(own)), own.shape[1]), own.ravel(), 0)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,18 +200,15 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, leaves: int = LEA
                 part = b.slice(lo, 4096)
                 got = model.value.search(_unit(part["embedding"], dim).astype(np.float32), leaves)
                 at, _ = np.nonzero(got >= 0)
-                yield pa.RecordBatch.from_arrays([part["rep"].take(pa.array(at)), part["embedding"].take(pa.array(at)), pa.array(got[got >= 0])], names=["rep", "embedding", "leaf"])
+                yield spread_out(part, at, got[got >= 0], 1)
 
-    kind = "rep bigint, embedding array<float>, leaf int"
+    kind = "rep bigint, embedding array<float>, leaf int, mb bigint, qb bigint"
     asked = reps if queries is None else reps.join(v.join(queries.select("id").distinct(), "id", "left_semi").select("rep").distinct(), "rep", "left_semi")
     lone, spread = reps.select("rep", "embedding"), max(1, min(2000, n // 4000 + 1))
-    members = lone.repartition(spread, "rep").mapInArrow(route, kind)
-    probes = asked.select("rep", "embedding").repartition(spread, "rep").mapInArrow(probe, kind)
-    # a leaf of more than BLOCK members or queries is worked block against block
-    sizes = members.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("mb")).join(probes.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("qb")), "leaf")
-    side = lambda df, own, other: df.join(sizes, "leaf").select("rep", "embedding", "leaf", F.pmod(F.xxhash64("rep"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other))
     keys = ["leaf", "qb", "mb"]
-    near = side(probes, "qb", "mb").groupBy(*keys).cogroup(side(members, "mb", "qb").groupBy(*keys)).applyInArrow(_best(k + 1, dim), "q bigint, r bigint, similarity double").distinct()
+    members = lone.repartition(spread, "rep").mapInArrow(route, kind).groupBy(*keys)
+    probes = asked.select("rep", "embedding").repartition(spread, "rep").mapInArrow(probe, kind).groupBy(*keys)
+    near = probes.cogroup(members).applyInArrow(_best(k + 1, dim), "q bigint, r bigint, similarity double").distinct()
     w = Window.partitionBy("q").orderBy(F.desc("similarity"))
     near = near.withColumn("place", F.rank().over(w)).where(F.col("place") <= k).drop("place")
     first = member.withColumn("place", F.row_number().over(Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).where(F.col("place") <= k + 1)
