@@ -6,6 +6,7 @@ aggregation of a single row; only rows of such a size are broadcast.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +25,11 @@ def bm25(docs: DataFrame, text: str, terms: list[str], k1: float = 1.2, b: float
 
     okapi: the inverse frequency may fall under 0 and is then a quarter of the mean; terms count as often as they are given."""
     terms = terms if okapi else list(dict.fromkeys(terms))
-    d = docs.withColumn("tok", tokens(F.col(text))).withColumn("dl", F.size("tok"))
-    for i, t in enumerate(terms):
-        d = d.withColumn(f"tf{i}", _times(t))
-    d = d.drop("tok")
+    if tokens is T.words:  # counted in the text itself, without making a list of its words
+        low = F.lower(F.col(text))
+        d = docs.withColumns({"dl": F.regexp_count(low, F.lit("[a-z0-9]+"))} | {f"tf{i}": F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for i, t in enumerate(map(re.escape, terms))})
+    else:
+        d = docs.withColumn("tok", tokens(F.col(text))).withColumn("dl", F.size("tok")).withColumns({f"tf{i}": _times(t) for i, t in enumerate(terms)}).drop("tok")
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     if okapi:
         raw = [F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in range(len(terms))]
@@ -85,9 +87,11 @@ def divisor(df: DataFrame, score: str = "score", least: int = 10) -> DataFrame:
     return df.agg(F.greatest(F.coalesce(F.when(F.count(score) >= least, F.expr(f"percentile({score}, 0.95)")).otherwise(F.max(score)), F.lit(1.0)), F.lit(1e-10)).alias("div"))
 
 
-def normalised(df: DataFrame, score: str = "score") -> DataFrame:
-    """df with `norm`, its scores divided by the divisor, 1 at most."""
-    return df.crossJoin(F.broadcast(divisor(df, score))).withColumn("norm", F.least(F.col(score) / F.col("div"), F.lit(1.0))).drop("div")
+def normalised(df: DataFrame, score: str = "score", least: int = 10) -> DataFrame:
+    """df, already cut to its best rows, with `norm`, its scores divided by the divisor, 1 at most. A window over the few rows, so that they are not computed twice."""
+    w = Window.partitionBy(F.lit(1))
+    div = F.greatest(F.when(F.count(score).over(w) >= least, F.expr(f"percentile({score}, 0.95)").over(w)).otherwise(F.max(score).over(w)), F.lit(1e-10))
+    return df.withColumn("div", div).withColumn("norm", F.least(F.col(score) / F.col("div"), F.lit(1.0))).drop("div")
 
 
 def rank_decay(rank: Column, decay: float = 0.1) -> Column:

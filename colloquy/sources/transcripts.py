@@ -16,8 +16,8 @@ from colloquy.functions import text as T
 from colloquy.sources import lines as L
 
 # What discovery passes over, and prompts that are not conversations.
-EXCLUDED_DIRS = {".git", "__pycache__", "node_modules", ".venv", "venv", ".cache", "subagents", "backup", "backups", "archive", "worktrees"}
-EXCLUDED_FILES = {"history.jsonl", "settings.json", "package.json"}
+EXCLUDED_DIRS = ("plugins", "hooks", "commands", "todos", "settings", "usage-sessions", "telemetry", "sessions", "_corrupt_jsonls", "plans", "worktrees")
+EXCLUDED_FILES = (".credentials.json", "stats-cache.json", "settings.json", "settings.local.json", "settings.backup.json", "history.jsonl", "sessions-index.json", "mcp-needs-auth-cache.json")
 PROMPT_PREFIXES = [
     "Distill this conversation exchange into JSON",
     "Distill the conversation exchange below into JSON",

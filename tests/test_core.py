@@ -250,8 +250,8 @@ def test_transcripts(spark, tmp_path):
     a.write_text(GOOD + "\n" + GOOD.replace("user", "assistant").replace('"a"', '[{"type": "text", "text": "b"}, {"type": "text", "text": "c"}]') + "\n")
     b = tmp_path / "projects" / "b.jsonl"
     b.write_text(GOOD + "\nnot json\n")
-    (tmp_path / "node_modules").mkdir()
-    (tmp_path / "node_modules" / "c.jsonl").write_text(GOOD)
+    (tmp_path / "plugins").mkdir()
+    (tmp_path / "plugins" / "c.jsonl").write_text(GOOD)
     found = TR.discover([str(tmp_path)])
     assert [p.rsplit("/", 1)[1] for p in found] == ["a.jsonl", "b.jsonl"]
     text = TR.checked(TR.read_lines(spark, found))
