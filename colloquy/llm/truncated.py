@@ -25,9 +25,9 @@ _WORD = re.compile(r"[^\W\d_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]{1,2}(?=[^぀-ヿ
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”»)\]`*]*(?=\s|$)")
 MARKS = ["...", "…", " ...", "[...]", " [truncated]", "... (truncated)", "...[truncated]", " (truncated)", "... [cut]", "<truncated>", " [message truncated]", "…[cut off]", " (cut off)", "[snip]", " [output cut]", "\n[remaining text omitted]", "\n... 12 more lines", " [cut]", "\n(rest omitted)", " <snip>", " [continues]", "\n[text cut here]", " (continued)", " [...more]", "\n--- truncated ---", " [abgeschnitten]", " [tronqué]", " (以下省略)", " [log truncated]", "\n--- message clipped ---", " [clipped]", " <more>", "\n[body shortened]"]
 #: Beginnings of structures, to be cut anywhere after their first characters.
-STRUCTURES = ['{"tool": "read_file", "args": {"path": "lib/a/b.py", "rows": [4, 93, 45, 86, 12, 7]}, "note": "Now the reader keeps each value once."}', "```python\ndef first(rows):\n    for item in second(rows):\n        raise KeyError(item)\n    return third(rows, 12)\n```", "```js\nasync function first(opts) {\n  const a = await second(opts.b);\n  if (!opts.c) return null;\n  // later\n  items.push({ id: 3, kind: 'a' });\n}\n```", "see https://a.invalid/b/cde_f?from=x&to=y%20z&lang=en#part", "```sql\nSELECT a_id, count(*) AS n\nFROM b_log\nWHERE c > 3\nGROUP BY a_id;\n```", '[{"id":12,"kind":"a","n":3},{"id":14,"kind":"b","n":9}]']
+STRUCTURES = ['{"rows": [4, 93, 45, 86, 12, 7, 19, 3, 58, 60, 2]}', '{"tool": "a_b", "args": {"path": "c/d.md", "rows": [70, 31, 38, 93, 10, 50, 85, 45, 9]}}', '{"tool": "read_file", "args": {"path": "lib/a/b.py", "rows": [4, 93, 45, 86, 12, 7]}, "note": "Now the reader keeps each value once."}', "```python\ndef first(rows):\n    for item in second(rows):\n        raise KeyError(item)\n    return third(rows, 12)\n```", "```js\nasync function first(opts) {\n  const a = await second(opts.b);\n  if (!opts.c) return null;\n  // later\n  items.push({ id: 3, kind: 'a' });\n}\n```", "see https://a.invalid/b/cde_f?from=x&to=y%20z&lang=en#part", "```sql\nSELECT a_id, count(*) AS n\nFROM b_log\nWHERE c > 3\nGROUP BY a_id;\n```", '[{"id":12,"kind":"a","n":3},{"id":14,"kind":"b","n":9}]']
 #: What a cut in transfer leaves: half an entity, half an escape, a broken character.
-BROKEN = ["&am", "&#x2", "&quo", "&l", "&", "&#3", "&#x27", "&nbs", "&g", "%", "%2", "%E", "\ufffd", "\ufffd", "\\u00", "\\", "\\u", "%C3%"]
+BROKEN = ["&am", "&#x2", "&quo", "&l", "&", "&#3", "&#x27", "&nbs", "&g", "%", "%2", "%E", "\ufffd", "\ufffd", "\\u00", "\\", "\\u", "%C3%", "%", "%2", "?from=", "&to=", "=", "?q=a&lang="]
 _FIELDS = "doc_id bigint, source string, size int, label int, weight double, last_word string, before string, features array<int>"
 
 
@@ -44,7 +44,9 @@ def opened(text: str) -> list[str]:
     out, inside = [], len(re.findall(r"(?m)^\s*(?:[#/*>-]+\s*)?```", text)) % 2 == 1
     if inside:
         out.append("fence")
-    tail = text[text.rfind("```") + 3 :] if inside else text[text.rfind("\n\n") + 2 :] if "\n\n" in text else text
+    # closed blocks are whole, whatever stands in them
+    rest = text[text.rfind("```") + 3 :] if inside else re.sub(r"(?s)```[^\n]*\n.*?```", " ", text)
+    tail = rest if inside else rest[rest.rfind("\n\n") + 2 :] if "\n\n" in rest else rest
     stack: list[str] = []
     pair = {")": "(", "]": "[", "}": "{"}
     bare = re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|`[^`\n]*`", "", tail)
@@ -54,7 +56,7 @@ def opened(text: str) -> list[str]:
         elif c in ")]}" and stack and stack[-1] == pair[c]:
             stack.pop()
     out += [f"bracket{c}" for c in sorted(set(stack))]
-    line = text.rsplit("\n", 1)[-1]
+    line = rest.rsplit("\n", 1)[-1]
     if line.count("`") % 2 and not inside:
         out.append("tick")
     if re.sub(r"\\.", "", line).count('"') % 2:
@@ -129,9 +131,10 @@ def _examples(r: dict) -> list[dict]:
                 if not opened(whole):
                     continue
             x = rnd.random()
-            mark = rnd.choice(MARKS) if x < 0.16 else rnd.choice(BROKEN) if x < 0.26 else ""
-            if mark.startswith("%"):
-                whole += rnd.choice([" https://a.invalid/b?c=", " see https://a.example/x/", "?q=a"])
+            mark = rnd.choice(MARKS) if x < 0.16 else rnd.choice(BROKEN) if x < 0.30 else ""
+            if mark and mark[0] in "%?=" or mark == "&to=":
+                whole = (text[: rnd.choice(ends).end()] if ends else whole) + rnd.choice([" More on https://a.invalid/b/cd_e?f=", " see https://a.example/x/y_z?k=v&l=", " https://b.invalid/u?w=a"])
+                whole = whole[: whole.rfind("?")] if mark[0] == "?" else whole[: whole.rfind("=")] if mark[0] in "=&" else whole
             elif mark.startswith("&") and at(0.6):
                 whole = whole.rstrip() + " "
             add(whole + mark, 1, at(0.5) and not mark, 1.0)
